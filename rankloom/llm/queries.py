@@ -5,13 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rankloom.llm.encode import encode_corpus
+from rankloom.llm.leakage import leaks
 from rankloom.llm.packing import pack_documents
 from rankloom.llm.topn import top_n
 from rankloom.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Venue profiles and the validation or test papers they reveal."""
+    held_out = table(spark, sf_dir, "queries").filter(F.lower(F.trim("split")).isin("validation", "test"))
+    return leaks(table(spark, sf_dir, "venue_documents"), held_out)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 10 documents of every run and query."""
     best = top_n(table(spark, sf_dir, "scored_documents"), groups=["run_id", "query_id"], item="doc_id", score="score", n=10)
@@ -29,7 +37,7 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p6_ids, p7_packed)}
+    return {f.__name__: f for f in (p1_found, p5_found, p6_ids, p7_packed)}
 
 
 def oracle_sql() -> dict[str, str]:
