@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.encode import encode_corpus
 from rankloom.llm.leakage import leaks
 from rankloom.llm.packing import pack_documents
+from rankloom.llm.splits import overlap_counts, overlaps
 from rankloom.llm.topn import top_n
 from rankloom.runtime import table
 
@@ -20,6 +21,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "venue_documents"), held_out)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a train record and a held-out record of the same paper."""
+    return overlaps(table(spark, sf_dir, "queries")).select("query_id_a", "query_id_b")
+
+
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlaps counted per split and source."""
+    return overlap_counts(table(spark, sf_dir, "queries"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 10 documents of every run and query."""
     best = top_n(table(spark, sf_dir, "scored_documents"), groups=["run_id", "query_id"], item="doc_id", score="score", n=10)
@@ -37,7 +48,7 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p5_found, p6_ids, p7_packed)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_counts, p5_found, p6_ids, p7_packed)}
 
 
 def oracle_sql() -> dict[str, str]:
