@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.encode import encode_corpus
+from rankloom.llm.langid import text_segments, wrong_labels
 from rankloom.llm.leakage import leaks
 from rankloom.llm.packing import pack_documents
 from rankloom.llm.splits import overlap_counts, overlaps
@@ -21,6 +22,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "venue_documents"), held_out)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of every query whose label is missing or wrong."""
+    return wrong_labels(table(spark, sf_dir, "queries"), table(spark, sf_dir, "query_profiles")).select("query_id", "language")
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of every query with its language and confidence."""
+    return text_segments(table(spark, sf_dir, "queries").dropDuplicates(["query_id"]))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a train record and a held-out record of the same paper."""
     return overlaps(table(spark, sf_dir, "queries")).select("query_id_a", "query_id_b")
@@ -48,7 +59,7 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_counts, p5_found, p6_ids, p7_packed)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_segments, p3_found, p3_counts, p5_found, p6_ids, p7_packed)}
 
 
 def oracle_sql() -> dict[str, str]:
