@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.encode import encode_corpus
 from rankloom.llm.langid import text_segments, wrong_labels
 from rankloom.llm.leakage import leaks
+from rankloom.llm.matching import match
 from rankloom.llm.packing import pack_documents
 from rankloom.llm.splits import overlap_counts, overlaps
 from rankloom.llm.topn import top_n
@@ -42,6 +43,11 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_counts(table(spark, sf_dir, "queries"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue entity of every benchmark case that has one."""
+    return match(table(spark, sf_dir, "benchmark_cases"), table(spark, sf_dir, "scope_entities")).select("case_id", "entity_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 10 documents of every run and query."""
     best = top_n(table(spark, sf_dir, "scored_documents"), groups=["run_id", "query_id"], item="doc_id", score="score", n=10)
@@ -59,7 +65,7 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_segments, p3_found, p3_counts, p5_found, p6_ids, p7_packed)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_segments, p3_found, p3_counts, p4_found, p5_found, p6_ids, p7_packed)}
 
 
 def oracle_sql() -> dict[str, str]:
