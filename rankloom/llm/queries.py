@@ -13,6 +13,7 @@ from rankloom.llm.leakage import leaks
 from rankloom.llm.matching import match
 from rankloom.llm.packing import pack_documents
 from rankloom.llm.splits import overlap_counts, overlaps
+from rankloom.llm.subjects import composition, subjects_of
 from rankloom.llm.topn import top_n
 from rankloom.runtime import table
 
@@ -64,8 +65,22 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "context_windows"))
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects_of(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects", "scope_entities")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of every document."""
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject."""
+    return composition(_subjects(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_segments, p3_found, p3_counts, p4_found, p5_found, p6_ids, p7_packed)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_segments, p3_found, p3_counts, p4_found, p5_found, p6_ids, p7_packed, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
