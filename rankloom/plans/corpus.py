@@ -57,10 +57,10 @@ def entity_resolution_cc(t):
     return cat.resolve_entities(flat, key="record_id", keys={"k": F.col("v")})
 
 
-@query("SELECT DISTINCT p_partkey, p_brand, p_type, p_size FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY p_brand HAVING bool_or(p_size <= 10 AND lower(p_type) LIKE '%economy%') AND bool_or(lower(p_name) LIKE '%1%') AND bool_or(p_retailprice > 0))")
+@query("SELECT DISTINCT p_partkey, p_brand, p_type, p_size FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY p_brand HAVING bool_or(p_size <= 10 AND lower(p_type) LIKE '%economy%') AND bool_or(lower(p_name) LIKE '%bolt%') AND bool_or(p_retailprice > 0))")
 def target_hard_filter(t):
     p = t("part")
-    out = cat.hard_filter(p, entity="p_brand", target=F.col("p_size") <= 10, area=F.lower("p_type").contains("economy"), scope=F.lower("p_name").contains("1"), reviewed=F.col("p_retailprice") > 0)
+    out = cat.hard_filter(p, entity="p_brand", target=F.col("p_size") <= 10, area=F.lower("p_type").contains("economy"), scope=F.lower("p_name").contains("bolt"), reviewed=F.col("p_retailprice") > 0)
     return out.select("p_partkey", "p_brand", "p_type", "p_size").distinct()
 
 

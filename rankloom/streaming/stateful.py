@@ -51,13 +51,14 @@ def rate_limit_stream(events: DataFrame, *, key: str, ts: str, limit: int, windo
             return
         lim = SlidingWindowLimiter(limit, window, list(state.get[0]) if state.exists else [])
         for pdf in batches:
-            times = sorted(pdf[ts].astype("int64") / 1e9 if str(pdf[ts].dtype).startswith("datetime64[ns") else pdf[ts].astype("int64") / 1e6)
+            times = sorted(t / 1e6 for t in pdf["t"])
             res = [lim.allow(t) for t in times]
             yield pd.DataFrame({"k": k[0], "t": times, "allowed": [r[0] for r in res]})
         state.update((list(lim.held),))
         state.setTimeoutDuration(int(window * 2000))
 
-    return events.groupBy(F.col(key).cast("string")).applyInPandasWithState(step, "k string, t double, allowed boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+    return timed.groupBy("k").applyInPandasWithState(step, "k string, t double, allowed boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 class KeyPool:
