@@ -30,10 +30,12 @@ LEAST_COUNT = 3
 WEAK_WEIGHT = 0.25
 SHRINK = 2.0
 TELLING = 2.5
+CERTAIN = 0.7
 OWN = 0.4
 ANCHORED = 12
 ANCHOR = 1.4
 ROUNDS = 3
+LONGEST = 30
 
 _SEGMENT = re.compile(r"[\r\n|•]+|(?<=[.!?])\s+|(?<=[。！？])|(?<=[.!?][\"”»)])\s+")
 
@@ -89,7 +91,7 @@ def weigh(index: np.ndarray, row: np.ndarray, q: np.ndarray, seen: np.ndarray) -
     """Weights: log of how much likelier a subject is where a feature stands than at large, shrunk where it is rare.
 
     ``q`` holds the subjects of each span. Features in fewer than ``LEAST_COUNT`` documents, or without a subject that is
-    ``TELLING`` times as likely as at large and has a share of ``OWN``, have no weight.
+    ``TELLING`` times as likely as at large (or ``CERTAIN``) and has a share of ``OWN``, have no weight.
     """
     prior = (q.sum(0) + 1.0) / (q.sum() + q.shape[1])
     per = [np.bincount(index, weights=q[row, s], minlength=BUCKETS) for s in range(q.shape[1])]
@@ -98,7 +100,7 @@ def weigh(index: np.ndarray, row: np.ndarray, q: np.ndarray, seen: np.ndarray) -
     known = np.flatnonzero((seen >= LEAST_COUNT) & (total > 0))
     chance = np.stack([(p[known] + SHRINK * prior[s]) / (total[known] + SHRINK) for s, p in enumerate(per)])
     # Set phrases stand with every subject: only a feature that has a subject of its own counts.
-    telling = (chance / prior[:, None]).max(0) >= TELLING
+    telling = (chance >= np.minimum(TELLING * prior, CERTAIN)[:, None]).any(0)
     telling &= chance.max(0) >= OWN
     for s in range(q.shape[1]):
         out[s][known[telling]] = np.log(chance[s][telling] / prior[s])
@@ -127,7 +129,9 @@ def train(subjects: list[str], texts: list[str], annotated: list[set[str]], fiel
             y[r, own] = 1.0 / len(own)
             weight[r] = 1.0 if annotated[i] else WEAK_WEIGHT
     allowed = np.where((weight == 1.0)[:, None], y > 0, True)
-    first = (y * weight[:, None])[owner]
+    # A very long text weighs no more than ``LONGEST`` sentences do.
+    share = np.minimum(1.0, LONGEST / np.bincount(owner, minlength=len(docs)))[owner]
+    first = (y * weight[:, None])[owner] * share[:, None]
     at_large = (first.sum(0) + 1.0) / (first.sum() + k)
     claims = np.stack([np.bincount(index, weights=first[row, s], minlength=BUCKETS) for s in range(k)]).astype(np.float32)
     # Where a feature is well known, later rounds may not give it to a subject that the labels do not.
@@ -139,7 +143,7 @@ def train(subjects: list[str], texts: list[str], annotated: list[set[str]], fiel
         second = np.partition(z, -2, axis=1)[:, -2] if k > 1 else np.full(len(z), -30.0)
         q = np.zeros_like(z)
         sure = np.flatnonzero((top >= model.level) & (top - second >= 1.0))
-        q[sure, z[sure].argmax(1)] = 1.0
+        q[sure, z[sure].argmax(1)] = share[sure]
         weights = weigh(index, row, q, seen)
         weights[denied & (weights > 0)] = 0.0
         model = Linear(subjects, weights, model.level)
