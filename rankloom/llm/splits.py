@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rankloom.llm import text as tx
 from rankloom.llm.leakage import PARTS, align, names_study, query_dois
@@ -37,7 +36,7 @@ TITLE_SHARE = 0.8
 NAMES_SHARE = 0.75
 RARE_SHARE = 0.65
 FIGURES_SHARE = 0.6
-BUCKET = 8
+BLOCK = 64
 
 
 def records_of(queries: DataFrame) -> DataFrame:
@@ -128,16 +127,17 @@ def bands(classes: DataFrame, frequent: frozenset[str]) -> DataFrame:
 
 
 def candidates(buckets: DataFrame) -> DataFrame:
-    """(a, b), a < b: classes to compare.
+    """(a, b), a < b: all pairs of classes that share a bucket.
 
-    In a bucket each class is paired with the ``BUCKET`` before it in order of id and with the
-    first, so all pairs of a small bucket come out and a large one stays linear; its members are
-    mostly one group, which the closure puts together from these links and those of other bands.
+    The members of a bucket are dealt to blocks of about ``BLOCK`` and each block meets each other one in a
+    group of its own, so that no task holds a large bucket whole.
     """
-    order = Window.partitionBy("bucket").orderBy("node")
-    held = buckets.join(buckets.groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket", "left_semi")
-    back = held.select("node", F.array_distinct(F.array(F.first("node").over(order), *[F.lag("node", k).over(order) for k in range(1, BUCKET + 1)])).alias("others"))
-    return back.select(F.explode("others").alias("a"), F.col("node").alias("b")).filter("a is not null and a <> b").distinct()
+    sizes = buckets.groupBy("bucket").count().filter("count > 1").select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    held = buckets.join(sizes, "bucket").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    left = held.select("bucket", F.col("node").alias("x"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    right = held.select("bucket", F.col("node").alias("y"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
+    met = left.join(right, ["bucket", "i", "j"]).filter("i < j and x <> y or x < y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def part_of(title: list[str]) -> str:

@@ -113,6 +113,12 @@ def test_overlaps(spark):
     assert splits.overlaps(q.limit(0)).count() == 0
 
 
+def test_candidates_are_all_pairs_of_a_bucket(spark):
+    members = {7: [f"c{i:03d}" for i in range(150)], 8: [f"c{i:03d}" for i in range(100, 112)], 9: ["alone"]}
+    b = spark.createDataFrame([(k, n) for k, ns in members.items() for n in ns], "bucket bigint, node string")
+    assert rows(splits.candidates(b)) == [(x, y) for i, x in enumerate(members[7]) for y in members[7][i + 1 :]]
+
+
 # --- problem 4
 
 def test_match(spark):
