@@ -186,7 +186,7 @@ def _abstracts_agree(aa: str, ab: str, frequent: frozenset[str]) -> bool:
     if len(p & q) < CONTAINED * min(len(p), len(q)):
         return False
     x, y = ({w for w in a.split(" ") if w not in frequent and w != "|"} for a in (aa, ab))
-    if len(x & y) < RARE_SHARE * max(1, min(len(x), len(y))):
+    if x and y and len(x & y) < RARE_SHARE * min(len(x), len(y)):
         return False
     # Abstracts on one pattern differ in their figures.
     x, y = ({w for w in a.split(" ") if len(w) > 1 and w.isdigit()} for a in (aa, ab))

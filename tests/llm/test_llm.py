@@ -113,6 +113,14 @@ def test_overlaps(spark):
     assert splits.overlaps(q.limit(0)).count() == 0
 
 
+def test_abstracts_without_rare_words_agree_by_their_shingles():
+    names = [f"nam{chr(97 + i // 5)}{chr(97 + i % 5)}o" for i in range(50)]
+    edited = [*names[:10], "x", *names[11:30], "y", *names[31:]]
+    frequent = frozenset([*names, "x", "y"])
+    assert splits.same_paper("", " ".join(names), "", " ".join(edited), frequent)
+    assert not splits.same_paper("", " ".join(names), "", " ".join(names[::-1]), frequent)
+
+
 def test_candidates_are_all_pairs_of_a_bucket(spark):
     members = {7: [f"c{i:03d}" for i in range(150)], 8: [f"c{i:03d}" for i in range(100, 112)], 9: ["alone"]}
     b = spark.createDataFrame([(k, n) for k, ns in members.items() for n in ns], "bucket bigint, node string")
