@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.runtime import materialize
+from rankloom.runtime import discard, materialize
 
 
 def connected_components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
@@ -16,6 +16,7 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame
     gathered in one place. Nulls, loops and repeated edges change nothing; a node only seen
     in loops is its own component; an empty table gives an empty table.
     """
+    edges = materialize(edges.select("a", "b"), "edges")  # read twice, computed once
     alone = edges.filter("a = b").select(F.col("a").alias("node")).distinct()
     links = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = materialize(links, "links")
@@ -26,7 +27,8 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        links = materialize(small, "links")
+        older, links = links, materialize(small, "links")
+        discard(older)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
