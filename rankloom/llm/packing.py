@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankloom.llm.encode import count_tokens
-from rankloom.runtime import materialize
+from rankloom.runtime import materialize, partitions
 
-SALTS = 64
-SLOTS = "window_name string, n_tokens bigint, first_slot bigint, slots bigint, per_container bigint, first_container bigint, offset_tokens bigint"
+SLOTS = "window_name string, capacity_tokens bigint, n_tokens bigint, first_slot bigint, slots bigint, per_container bigint, first_container bigint, offset_tokens bigint"
 
 
 def plan_containers(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -90,7 +89,7 @@ def slot_rows(window_name: str, histogram: dict[int, int], capacity: int, first_
     for count, pattern in plan_containers(histogram, capacity):
         offset = 0
         for length, each in pattern:
-            rows.append((window_name, length, taken[length], count * each, each, container, offset))
+            rows.append((window_name, capacity, length, taken[length], count * each, each, container, offset))
             taken[length] += count * each
             offset += length * each
         container += count
@@ -111,48 +110,51 @@ def pack(sizes: DataFrame, windows: DataFrame) -> DataFrame:
     are settled by doc_id.
     """
     spark = sizes.sparkSession
-    config = [(r[0], int(r[1])) for r in windows.select("window_name", "capacity_tokens").distinct().orderBy("window_name").collect() if r[0] is not None and r[1] is not None and r[1] > 0]
+    config = [(r[0], int(r[1])) for r in windows.select("window_name", "capacity_tokens").distinct().orderBy("window_name", "capacity_tokens").collect() if r[0] is not None and r[1] is not None and r[1] > 0]
     if windows.filter("window_name is null or capacity_tokens is null or capacity_tokens <= 0").limit(1).count():
         raise ValueError("every window needs a name and a positive capacity")
     sizes = sizes.select("doc_id", F.greatest(F.coalesce(F.col("n_tokens"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_tokens"))
+    window = ["window_name", "capacity_tokens"]
     capacity = spark.createDataFrame(config, "window_name string, capacity_tokens bigint")
     items = sizes.crossJoin(F.broadcast(capacity))  # a few windows: every item goes into every window
     items = items.withColumn("full", F.expr("n_tokens div capacity_tokens")).withColumn("rest", F.col("n_tokens") % F.col("capacity_tokens"))
-    # Two-step ranks: within (length, salt), then shifted by the salts before; no task holds a whole length.
-    items = items.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    by_salt = items.filter("rest > 0").groupBy("window_name", "capacity_tokens", "rest", "salt").count()
-    before = Window.partitionBy("window_name", "rest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    shift = by_salt.withColumn("shift", F.coalesce(F.sum("count").over(before), F.lit(0))).select("window_name", "rest", "salt", "shift")
+    # Two-step ranks: within (length, salt), then shifted by the salts before; no task holds a whole length. Salts grow with the session's partitions.
+    items = items.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(4 * partitions(spark))))
+    by_salt = items.filter("rest > 0").groupBy(*window, "rest", "salt").count()
+    before = Window.partitionBy(*window, "rest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    shift = by_salt.withColumn("shift", F.coalesce(F.sum("count").over(before), F.lit(0))).select(*window, "rest", "salt", "shift")
     # At most one row per window and length below its capacity: a bounded histogram.
-    histogram: dict[str, dict[int, int]] = {name: {} for name, _ in config}
-    for name, rest, n in by_salt.groupBy("window_name", "rest").agg(F.sum("count")).collect():
-        histogram[name][int(rest)] = int(n)
-    rows = [r for name, cap in config for r in slot_rows(name, histogram[name], cap, 0)]
-    used = {name: max((r[5] + -(-r[3] // r[4]) for r in rows if r[0] == name), default=0) for name, _ in config}
+    histogram: dict[tuple[str, int], dict[int, int]] = {w: {} for w in config}
+    for name, cap, rest, n in by_salt.groupBy(*window, "rest").agg(F.sum("count")).collect():
+        histogram[name, int(cap)][int(rest)] = int(n)
+    rows = [r for name, cap in config for r in slot_rows(name, histogram[name, cap], cap, 0)]
+    used = {w: max((r[6] + -(-r[4] // r[5]) for r in rows if r[:2] == w), default=0) for w in config}
     slots = spark.createDataFrame(pd.DataFrame(rows, columns=[f.split()[0] for f in SLOTS.split(", ")]), SLOTS) if rows else spark.createDataFrame([], SLOTS)
-    lists = slots.groupBy("window_name", F.col("n_tokens").alias("rest")).agg(F.sort_array(F.collect_list(F.struct("first_slot", "slots", "per_container", "first_container", "offset_tokens"))).alias("slots"))
+    slot = F.struct("first_slot", "slots", "per_container", "first_container", "offset_tokens")
+    lists = slots.groupBy(*window, F.col("n_tokens").alias("rest")).agg(F.sort_array(F.collect_list(slot)).alias("slots"), F.sort_array(F.collect_list("first_slot")).alias("firsts"))
 
-    ranked = items.filter("rest > 0").withColumn("r", F.row_number().over(Window.partitionBy("window_name", "rest", "salt").orderBy("doc_id")) - 1)
-    ranked = ranked.join(shift, ["window_name", "rest", "salt"]).withColumn("r", F.col("r") + F.col("shift"))
-    placed = ranked.join(F.broadcast(lists), ["window_name", "rest"]).withColumn("s", F.expr("filter(slots, x -> r >= x.first_slot and r < x.first_slot + x.slots)[0]"))
+    ranked = items.filter("rest > 0").withColumn("r", F.row_number().over(Window.partitionBy(*window, "rest", "salt").orderBy("doc_id")) - 1)
+    ranked = ranked.join(shift, [*window, "rest", "salt"]).withColumn("r", F.col("r") + F.col("shift"))
+    # The slot of a rank: the last one that begins at or before it.
+    placed = ranked.join(F.broadcast(lists), [*window, "rest"]).withColumn("s", F.expr("slots[cast(size(filter(firsts, x -> x <= r)) - 1 as int)]"))
     rests = placed.select(
-        "window_name", "capacity_tokens", "doc_id", F.col("full").alias("piece"), (F.col("full") * F.col("capacity_tokens")).alias("token_start"), F.col("rest").alias("piece_tokens"),
+        *window, "doc_id", F.col("full").alias("piece"), (F.col("full") * F.col("capacity_tokens")).alias("token_start"), F.col("rest").alias("piece_tokens"),
         F.expr("s.first_container + (r - s.first_slot) div s.per_container").alias("container_id"),
         F.expr("s.offset_tokens + ((r - s.first_slot) % s.per_container) * rest").alias("container_offset"),
     )
     # Full pieces have containers of their own, numbered after the planned ones.
-    first_own = F.create_map(*[F.lit(x) for name, n in used.items() for x in (name, n)]) if used else F.create_map(F.lit(""), F.lit(0))
+    own_first = spark.createDataFrame([(n, c, used[n, c]) for n, c in config], "window_name string, capacity_tokens bigint, own_first bigint")
     long = items.filter("full > 0")
-    per_salt = long.groupBy("window_name", "salt").agg(F.sum("full").alias("n"))
-    own_shift = per_salt.withColumn("shift", F.coalesce(F.sum("n").over(Window.partitionBy("window_name").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("window_name", "salt", "shift")
-    running = Window.partitionBy("window_name", "salt").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    long = long.withColumn("own", F.coalesce(F.sum("full").over(running), F.lit(0))).join(F.broadcast(own_shift), ["window_name", "salt"])
+    per_salt = long.groupBy(*window, "salt").agg(F.sum("full").alias("n"))
+    own_shift = per_salt.withColumn("shift", F.coalesce(F.sum("n").over(Window.partitionBy(*window).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*window, "salt", "shift")
+    running = Window.partitionBy(*window, "salt").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    long = long.withColumn("own", F.coalesce(F.sum("full").over(running), F.lit(0))).join(F.broadcast(own_shift.join(own_first, window)), [*window, "salt"])
     fulls = long.withColumn("piece", F.explode(F.expr("sequence(0L, full - 1)"))).select(
-        "window_name", "capacity_tokens", "doc_id", "piece", (F.col("piece") * F.col("capacity_tokens")).alias("token_start"), F.col("capacity_tokens").alias("piece_tokens"),
-        (first_own[F.col("window_name")] + F.col("shift") + F.col("own") + F.col("piece")).cast("bigint").alias("container_id"), F.lit(0).cast("bigint").alias("container_offset"),
+        *window, "doc_id", "piece", (F.col("piece") * F.col("capacity_tokens")).alias("token_start"), F.col("capacity_tokens").alias("piece_tokens"),
+        (F.col("own_first") + F.col("shift") + F.col("own") + F.col("piece")).cast("bigint").alias("container_id"), F.lit(0).cast("bigint").alias("container_offset"),
     )
     empty = items.filter("n_tokens = 0").select(
-        "window_name", "capacity_tokens", "doc_id", F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("token_start"), F.lit(0).cast("bigint").alias("piece_tokens"),
+        *window, "doc_id", F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("token_start"), F.lit(0).cast("bigint").alias("piece_tokens"),
         F.lit(None).cast("bigint").alias("container_id"), F.lit(None).cast("bigint").alias("container_offset"),
     )
     return rests.unionByName(fulls).unionByName(empty)
@@ -169,3 +171,27 @@ def utilization(packed: DataFrame) -> DataFrame:
     return packed.filter("container_id is not null").groupBy("window_name", "capacity_tokens").agg(
         F.countDistinct("container_id").alias("containers"), F.sum("piece_tokens").alias("tokens"),
     ).withColumn("used", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+
+
+def violations(packed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(window_name, rule, n): how often a packing breaks its rules; every rule is listed, 0 where it holds.
+
+    ``unplaced``: documents whose pieces do not add up to their size; ``overfull``: containers with more tokens than their capacity; ``overlap``: pieces
+    that begin before the piece ahead of them in their container ends; ``split``: documents in several pieces that would fit one container.
+    """
+    window = ["window_name", "capacity_tokens"]
+    placed = packed.filter("container_id is not null")
+    per_doc = packed.groupBy(*window, "doc_id").agg(F.sum("piece_tokens").alias("got"), F.count("*").alias("pieces")).join(sizes.select("doc_id", "n_tokens"), "doc_id")
+    per_box = placed.groupBy(*window, "container_id").agg(F.sum("piece_tokens").alias("got"))
+    ahead = Window.partitionBy(*window, "container_id").orderBy("container_offset")
+    after = placed.withColumn("end", F.lag(F.col("container_offset") + F.col("piece_tokens")).over(ahead))
+    parts = {
+        "unplaced": per_doc.filter("got <> coalesce(n_tokens, 0)"), "split": per_doc.filter("pieces > 1 and n_tokens <= capacity_tokens"),
+        "overfull": per_box.filter("got > capacity_tokens"), "overlap": after.filter("container_offset < end"),
+    }
+    names = packed.select("window_name").distinct()
+    out = None
+    for rule, bad in parts.items():
+        one = names.join(bad.groupBy("window_name").agg(F.count("*").alias("n")), "window_name", "left").select("window_name", F.lit(rule).alias("rule"), F.coalesce("n", F.lit(0)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out

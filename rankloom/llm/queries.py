@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.encode import encode_corpus
+from rankloom.llm.encode import count_tokens, encode_corpus
 from rankloom.llm.langid import text_segments, wrong_labels
 from rankloom.llm.leakage import leaks
 from rankloom.llm.matching import match
-from rankloom.llm.packing import pack_documents
+from rankloom.llm.packing import pack, pack_documents, utilization, violations
 from rankloom.llm.splits import overlap_counts, overlaps
 from rankloom.llm.subjects import composition, subjects_of
 from rankloom.llm.topn import top_n
-from rankloom.runtime import table
+from rankloom.runtime import materialize, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,18 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "context_windows"))
 
 
+def p7_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and used share of their room, for every window."""
+    return utilization(p7_packed(spark, sf_dir))
+
+
+def p7_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the packing breaks each of its rules."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = materialize(count_tokens(docs), "token-counts")
+    return violations(materialize(pack(sizes, table(spark, sf_dir, "context_windows")), "packed"), sizes)
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects_of(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects", "scope_entities")))
 
@@ -80,11 +92,17 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_segments, p3_found, p3_counts, p4_found, p5_found, p6_ids, p7_packed, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_segments, p3_found, p3_counts, p4_found, p5_found, p6_ids, p7_packed, p7_utilization, p7_violations, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL}
+    return {"p5_found": P5_SQL, "p7_violations": P7_SQL}
+
+
+P7_SQL = """
+SELECT window_name, rule, 0::BIGINT AS n
+FROM (SELECT DISTINCT window_name FROM context_windows), (SELECT unnest(['unplaced', 'split', 'overfull', 'overlap']) AS rule)
+"""
 
 
 P5_SQL = """

@@ -49,8 +49,9 @@ def records_of(queries: DataFrame) -> DataFrame:
             abstract = [" | ".join(" ".join(s) for s in tx.sentences(a)) for a in b.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(title, pa.string()), pa.array(abstract, pa.string())], names=["query_id", "split", "source", "title", "abstract"])
 
-    cleaned = src.filter("query_id is not null").mapInArrow(run, "query_id string, split string, source string, title string, abstract string")
-    return cleaned.groupBy("query_id").agg(*[F.min(c).alias(c) for c in ("split", "source", "title", "abstract")])
+    # Of deliveries that differ, one is taken whole.
+    one = src.filter("query_id is not null").groupBy("query_id").agg(F.min(F.struct("split", "source", "title", "abstract")).alias("r")).select("query_id", "r.*")
+    return one.mapInArrow(run, "query_id string, split string, source string, title string, abstract string")
 
 
 def with_class(records: DataFrame) -> DataFrame:
@@ -126,17 +127,34 @@ def bands(classes: DataFrame, frequent: frozenset[str]) -> DataFrame:
     return classes.select("node", "title", "abstract").mapInArrow(run, "bucket bigint, node string")
 
 
+def star_pairs(buckets: DataFrame) -> DataFrame:
+    """(a, b), a < b: each class with the least class of each of its buckets, as many pairs as rows at most."""
+    least = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    return buckets.join(least, "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+def labelled(buckets: DataFrame, stars: DataFrame) -> DataFrame:
+    """(bucket, node, label) of the buckets that hold more than one label: classes confirmed with one star have it as label.
+
+    So a bucket filled by copies of one paper is done after its stars, however large it is.
+    """
+    label = stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+    known = buckets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+    return known.join(open_, "bucket", "left_semi")
+
+
 def candidates(buckets: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of classes that share a bucket.
+    """(a, b), a < b: all pairs of classes that share a bucket and have different labels. ``buckets``: bucket, node, label.
 
     The members of a bucket are dealt to blocks of about ``BLOCK`` and each block meets each other one in a
     group of its own, so that no task holds a large bucket whole.
     """
     sizes = buckets.groupBy("bucket").count().filter("count > 1").select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     held = buckets.join(sizes, "bucket").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    left = held.select("bucket", F.col("node").alias("x"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
-    right = held.select("bucket", F.col("node").alias("y"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
-    met = left.join(right, ["bucket", "i", "j"]).filter("i < j and x <> y or x < y")
+    left = held.select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    right = held.select("bucket", F.col("node").alias("y"), F.col("label").alias("ly"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
+    met = left.join(right, ["bucket", "i", "j"]).filter("lx <> ly and (i < j and x <> y or x < y)")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -218,24 +236,37 @@ def same_records(queries: DataFrame) -> DataFrame:
     records = materialize(with_class(records_of(queries)), "records")
     classes = materialize(records.filter("node like 'c%'").groupBy("node").agg(F.first("title").alias("title"), F.first("abstract").alias("abstract")), "classes")
     frequent = frequent_words(classes)
-    pairs = candidates(materialize(bands(classes, frequent), "bands"))
-    texts = confirmed(pairs, classes, frequent)
+    buckets = materialize(bands(classes, frequent), "bands")
+    tried = star_pairs(buckets)
+    stars = materialize(confirmed(tried, classes, frequent), "stars")
+    rest = candidates(labelled(buckets, stars)).join(tried, ["a", "b"], "left_anti")
+    texts = stars.unionByName(confirmed(rest, classes, frequent))
     by_doi = query_dois(queries).join(records.select("query_id", "node"), "query_id").select(F.col("node").alias("a"), F.concat(F.lit("d"), "doi").alias("b"))
     groups = connected_components(texts.unionByName(by_doi))
     return records.join(groups, "node", "left").select("query_id", "split", "source", F.coalesce("component", "node").alias("paper"))
 
 
+def _sides(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    papers = same_records(queries).withColumn("split", F.lower(F.trim("split")))
+    train = papers.filter("split = 'train'").select("paper", F.col("query_id").alias("t"), F.col("source").alias("train_source"))
+    return train, papers.filter("split in ('validation', 'test')").select("paper", F.col("query_id").alias("h"), "split", "source")
+
+
 def overlaps(queries: DataFrame) -> DataFrame:
     """(query_id_a, query_id_b, split, train_source, source): train records and held-out ones of the same paper.
 
     query_id_a < query_id_b; split and source are those of the held-out record. See :func:`same_records`.
     """
-    papers = same_records(queries).withColumn("split", F.lower(F.trim("split")))
-    train = papers.filter("split = 'train'").select("paper", F.col("query_id").alias("t"), F.col("source").alias("train_source"))
-    held = papers.filter("split in ('validation', 'test')").select("paper", F.col("query_id").alias("h"), "split", "source")
+    train, held = _sides(queries)
     return train.join(held, "paper").select(F.least("t", "h").alias("query_id_a"), F.greatest("t", "h").alias("query_id_b"), "split", "train_source", "source")
 
 
 def overlap_counts(queries: DataFrame) -> DataFrame:
-    """Pairs and different held-out records per split, source and train source."""
-    return overlaps(queries).groupBy("split", "source", "train_source").agg(F.count("*").alias("pairs"))
+    """(split, source, train_source, pairs, held_out): pairs, and different held-out records, of each split and pair of sources.
+
+    Records are counted per paper first and the counts multiplied, so that a paper with many records gives no pairs.
+    """
+    train, held = _sides(queries)
+    t = train.groupBy("paper", "train_source").agg(F.count("*").alias("nt"))
+    h = held.groupBy("paper", "split", "source").agg(F.count("*").alias("nh"))
+    return t.join(h, "paper").groupBy("split", "source", "train_source").agg(F.sum(F.col("nt") * F.col("nh")).alias("pairs"), F.sum("nh").alias("held_out"))
