@@ -110,6 +110,45 @@ def paired_bootstrap(differences: list[float], *, rounds: int = 2000, seed: int
     return {"mean": float(d.mean()), "low": float(low), "high": float(high), "above": float((m > 0).mean())}
 
 
+def poisson_bootstrap(differences: DataFrame, *, rounds: int = 400, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """One row (mean, low, high, above) of resampled means of (query_id, difference), without collecting them.
+
+    Every row draws a Poisson weight for each round from a hash of its query and the round, so rounds are sums over one scan, and the
+    result does not depend on how rows are dealt to partitions. Use :func:`paired_bootstrap` for a small sample.
+    """
+    # Cumulative Poisson(1) probabilities.
+    steps = (0.3678794411714423, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+    u = F.pmod(F.xxhash64(F.lit(seed), "query_id", "i"), F.lit(1 << 40)) / float(1 << 40)
+    weight = sum(((u > x).cast("int") for x in steps), F.lit(0))
+    drawn = differences.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("w", weight)
+    means = drawn.groupBy("i").agg((F.sum(F.col("w") * F.col("difference")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
+    tail = (1 - level) / 2
+    spread = means.agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"), F.avg((F.col("m") > 0).cast("double")).alias("above"))
+    return differences.agg(F.avg("difference").alias("mean")).crossJoin(spread)  # one row each
+
+
+def exact_signs(differences: DataFrame, *, key: str, value: str) -> DataFrame:
+    """One row (p) of the two-sided sign-flip test over all sign patterns of at most 20 values numbered 0, 1, .. by ``key``."""
+    spark = differences.sparkSession
+    n = differences.count()
+    if n > 20:
+        raise ValueError("more than 20 values: use permutation_p")
+    patterns = spark.range(1 << n).withColumnRenamed("id", "k")
+    rows = F.broadcast(differences.select(F.col(key).cast("int").alias("i"), F.col(value).alias("d")))  # at most 20 rows
+    flipped = patterns.crossJoin(rows).groupBy("k").agg(F.avg(F.when(F.expr("(shiftright(k, i) & 1) = 1"), -F.col("d")).otherwise(F.col("d"))).alias("s"))
+    observed = differences.agg(F.abs(F.avg(value)).alias("m"))
+    return flipped.crossJoin(F.broadcast(observed)).agg(F.round(F.avg((F.abs("s") >= F.col("m") - 1e-15).cast("double")), 6).alias("p"))
+
+
+def grid_losses(scored: DataFrame) -> DataFrame:
+    """(i, nll): mean log loss at each temperature of the grid, from (label, z), in one scan."""
+    losses = []
+    for t in SelectiveCalibrator.grid().tolist():
+        q = F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), 1 / (1 + F.exp(-F.col("z") / t))))
+        losses.append(F.avg(-(F.col("label") * F.log(q) + (1 - F.col("label")) * F.log(1 - q))))
+    return scored.agg(F.array(*losses).alias("l")).select(F.posexplode("l").alias("i", "nll")).select(F.col("i").cast("bigint").alias("i"), F.round("nll", 6).alias("nll"))
+
+
 def permutation_p(differences: list[float], *, rounds: int = 10_000, seed: int = 7, exact_up_to: int = 16) -> float:
     """Two-sided sign-flip test: all sign patterns up to ``exact_up_to`` values, else random ones with add-one."""
     d = np.asarray(differences, dtype=np.float64)
@@ -140,7 +179,7 @@ class SelectiveCalibrator:
         return np.exp(-2 + 4 * np.arange(161) / 160)
 
     def scaled(self, p: np.ndarray, t: float) -> np.ndarray:
-        p = np.clip(p, 1e-6, 1 - 1e-6)
+        p = np.clip(p, 1e-9, 1 - 1e-9)
         return 1 / (1 + np.exp(-np.log(p / (1 - p)) / t))
 
     def fit(self, p: np.ndarray, y: np.ndarray) -> SelectiveCalibrator:

@@ -61,10 +61,18 @@ def severity(findings: DataFrame) -> DataFrame:
 
 
 def ordered_digest(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """SHA-256 over the sorted values of each group, joined by line feeds."""
+    """SHA-256 over the sorted values of each group, joined by line feeds. Groups are gathered whole: see :func:`ranged_digest` for large ones."""
     return df.groupBy(*by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.col(value).cast("string"))), "\n"), 256).alias("digest"))
 
 
+def ranged_digest(df: DataFrame, by: list[str], value: str, *, digits: int = 2) -> DataFrame:
+    """Digest of digests: values are dealt to 16 ** ``digits`` ranges by their own SHA-256, each range is digested as in
+    :func:`ordered_digest`, and the digests of a group in order of their ranges once more. No row holds a whole group."""
+    v = F.col(value).cast("string")
+    ranges = df.withColumn("range", F.substring(F.sha2(v, 256), 1, digits)).groupBy(*by, "range").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(v)), "\n"), 256).alias("d"))
+    return ranges.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
+
+
 def canonical_json_digest(value: object) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
@@ -94,10 +102,13 @@ def bijection(pairs: DataFrame, left: str, right: str) -> DataFrame:
 def contained_titles(items: DataFrame, texts: DataFrame) -> DataFrame:
     """(query_id, doc_id): distinctive titles that stand in a text, blocked by the title's longest word.
 
-    ``items``: query_id, title (normalised); ``texts``: doc_id, text (normalised).
+    ``items``: query_id, title (normalised); ``texts``: doc_id, text (normalised). Only words that are some title's anchor leave a text,
+    each once, without the text; equal titles are searched once, and texts are fetched for the pairs that share an anchor.
     """
     words = F.split("title", " ")
     anchor = F.element_at(F.array_sort(words, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1)
-    keyed = items.withColumn("anchor", anchor)
-    exploded = texts.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("anchor"))
-    return keyed.join(exploded, "anchor").filter(F.concat(F.lit(" "), "text", F.lit(" ")).contains(F.concat(F.lit(" "), "title", F.lit(" ")))).select("query_id", "doc_id").distinct()
+    keyed = items.select("title").distinct().withColumn("anchor", anchor)
+    held = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("anchor"))
+    pairs = held.join(keyed, "anchor").select("doc_id", "title")
+    found = pairs.join(texts.select("doc_id", "text"), "doc_id").filter(F.concat(F.lit(" "), "text", F.lit(" ")).contains(F.concat(F.lit(" "), "title", F.lit(" "))))
+    return found.select("title", "doc_id").join(items, "title").select("query_id", "doc_id").distinct()

@@ -13,7 +13,12 @@ from rankloom.operators import ranking as rk
 from rankloom.plans.registry import query
 from rankloom.streaming import stateful as st
 
-NAME = "trim(regexp_replace(regexp_replace(lower({c}), '&', ' and ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+def _quoted(s: str) -> str:
+    return s.replace("'", "''")
+
+
+FOLD = f"replace(replace(lower(translate({{c}}, '{_quoted(tf.WIDE)}', '{_quoted(tf.NARROW)}')), 'ß', 'ss'), '&', ' and ')".replace("{c}", "@c@").replace("{", "{{").replace("}", "}}").replace("@c@", "{c}")
+NAME = "trim(regexp_replace(" + FOLD + r", '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
 DOI = r"regexp_replace(regexp_replace(lower(trim(doi)), '^(https?://[^/]+/|doi\s*:?\s*)', ''), '[.,;)\s]+$', '')"
 BARE = "upper(regexp_replace(raw, '[^0-9Xx]', '', 'g'))"
 CHECK = " + ".join(f"CAST(substr(b, {i}, 1) AS INT) * {9 - i}" for i in range(1, 8))
@@ -257,6 +262,11 @@ def ordered_digest(t):
     return ql.ordered_digest(t("events"), ["event_type"], "event_id")
 
 
+@query("SELECT event_type, sha256(string_agg(d, chr(10) ORDER BY r)) AS digest FROM (SELECT event_type, substr(sha256(event_id::VARCHAR), 1, 2) AS r, sha256(string_agg(event_id::VARCHAR, chr(10) ORDER BY event_id::VARCHAR)) AS d FROM events GROUP BY ALL) GROUP BY event_type")
+def ranged_digest(t):
+    return ql.ranged_digest(t("events"), ["event_type"], "event_id")
+
+
 @query("""WITH s AS (SELECT DISTINCT query_id, split, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS g FROM (SELECT DISTINCT query_id, split, regexp_extract_all(lower(title), '[a-z0-9]+') AS w FROM queries WHERE title IS NOT NULL) WHERE len(w) >= 5), f AS (SELECT g FROM s GROUP BY g HAVING count(*) BETWEEN 2 AND 100)
 SELECT a.query_id AS a, b.query_id AS b, count(*) AS common FROM s a JOIN f USING (g) JOIN s b USING (g) WHERE a.split = 'train' AND b.split <> 'train' GROUP BY ALL""")
 def near_dup_shingles(t):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankloom.functions.text import STOP_WORDS, tokens
+from rankloom.functions.text import NARROW, STOP_WORDS, WIDE, tokens
 from rankloom.operators import catalog as cat
 from rankloom.operators import metrics as mt
 from rankloom.operators import quality as ql
@@ -17,8 +17,14 @@ from rankloom.plans.registry import query
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
+def folded(c: str) -> str:
+    return f"replace(replace(lower(translate({c}, '{WIDE.replace(chr(39), chr(39) * 2)}', '{NARROW.replace(chr(39), chr(39) * 2)}')), 'ß', 'ss'), '&', ' and ')"
+
+
 def words(c: str) -> str:
-    return f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'), lambda t: t NOT IN ({STOP}))"
+    runs = f"regexp_extract_all({folded(f"coalesce({c}, '')")}, '[a-z0-9][a-z0-9_+#.\\-]*|[㐀-鿿]+')"
+    chars = "list_concat(list_transform(range(1, length(v) + 1), lambda i: substr(v, i, 1)), list_transform(range(1, length(v)), lambda i: substr(v, i, 2)))"
+    return f"list_filter(flatten(list_transform({runs}, lambda v: CASE WHEN regexp_matches(v, '^[㐀-鿿]') THEN {chars} ELSE [regexp_replace(v, '[.-]+$', '')] END)), lambda t: t <> '' AND t NOT IN ({STOP}))"
 
 
 UNITS = f"units AS (SELECT doc_id, {words('text')} AS w FROM venue_documents), post AS (SELECT doc_id, term, count(*) AS tf, max(length) AS length FROM (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM units) GROUP BY ALL)"
@@ -65,10 +71,10 @@ def tokenize_counts(t):
     return t("documents").select(F.explode(tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {BM25.replace('FROM venue_documents', 'FROM documents').replace('doc_id', 'doc_id')}, pooled AS (SELECT query_id, source, max(score) AS score FROM bm25 JOIN documents USING (doc_id) GROUP BY ALL)
+@query(f"""WITH {BM25.replace('FROM venue_documents', 'FROM documents')}, pooled AS (SELECT query_id, source, max(score) AS score FROM bm25 JOIN documents USING (doc_id) GROUP BY ALL)
 SELECT query_id, source AS doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source) AS rank FROM pooled WHERE source IS NOT NULL""")
 def bm25_maxpool_source(t):
-    run = rt.bm25(t("probe_queries"), t("documents").filter("source is not null or source is null"), unit="doc_id", text="text", doc="source")
+    run = rt.bm25(t("probe_queries"), t("documents"), unit="doc_id", text="text", doc="source")
     return rk.canonical_rank(run.drop("rank").filter("doc_id is not null")).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -208,6 +214,11 @@ per AS (SELECT a.query_id, coalesce(max(CASE WHEN g.doc_id IS NOT NULL AND r.ran
 coalesce(1.0::DOUBLE / min(CASE WHEN g.doc_id IS NOT NULL AND r.rank <= 10 THEN r.rank END), 0) AS mrr_10 FROM asked a LEFT JOIN r USING (query_id) LEFT JOIN gold g ON g.query_id = a.query_id AND g.doc_id = r.doc_id LEFT JOIN tot ON tot.query_id = a.query_id GROUP BY a.query_id)"""
 
 
+PER_NDCG = f"""WITH {PER}, hit AS (SELECT r.query_id, r.rank, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS nth FROM r JOIN gold g ON g.query_id = r.query_id AND g.doc_id = r.doc_id WHERE r.rank <= 10),
+sums AS (SELECT query_id, sum(1 / log2(rank + 1)) AS dcg, sum(nth / rank::DOUBLE) AS prec FROM hit GROUP BY query_id),
+ideal AS (SELECT query_id, sum(1 / log2(n + 1)) AS idcg FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS n FROM gold) WHERE n <= 10 GROUP BY query_id)"""
+
+
 def _metrics(t, ks: list[int]) -> DataFrame:  # noqa: ANN001
     pooled = _runs(t).filter("rank <= 10").groupBy("query_id", "doc_id").agg(F.max(10 - F.col("rank")).alias("score"))
     return mt.query_metrics(rk.canonical_rank(pooled), _gold(t), t("scored_documents").filter(rk.finite(F.col("score"))).filter("trim(doc_id) <> ''").select("query_id"), ks)
@@ -223,6 +234,11 @@ def ir_metrics_macro(t):
     return mt.macro(_metrics(t, [10]).select("query_id", "hit_10", "recall_10", "mrr_10"))
 
 
+@query(f"""{PER_NDCG} SELECT query_id, round(coalesce(dcg / idcg, 0), 6) AS ndcg_10, round(coalesce(prec / relevant, 0), 6) AS ap_10 FROM asked LEFT JOIN sums USING (query_id) LEFT JOIN tot USING (query_id) LEFT JOIN ideal USING (query_id)""")
+def ir_metrics_ndcg_ap(t):
+    return _metrics(t, [10]).select("query_id", F.round("ndcg_10", 6).alias("ndcg_10"), F.round("ap_10", 6).alias("ap_10"))
+
+
 @query(f"WITH {PER}, src AS (SELECT query_id, min(source) AS source FROM queries GROUP BY query_id) SELECT coalesce(source, 'unknown') AS source, count(*) AS queries, round(avg(hit_10::DOUBLE), 6) AS hit_10, round(avg(mrr_10), 6) AS mrr_10 FROM per LEFT JOIN src USING (query_id) GROUP BY ALL")
 def ir_metrics_strata(t):
     src = t("queries").groupBy("query_id").agg(F.min("source").alias("source"))
@@ -245,13 +261,20 @@ def paired_differences(t):
     return a.join(b, "query_id").select("query_id", F.round(F.col("x") - F.col("y"), 6).alias("difference"))
 
 
-@query(f"""WITH {RUN} SELECT * FROM (VALUES
-('missing_query', (SELECT count(*) FROM (SELECT DISTINCT query_id FROM probe_queries) WHERE query_id NOT IN (SELECT query_id FROM run WHERE method = 'dense'))),
-('foreign_query', (SELECT count(DISTINCT query_id) FROM run WHERE method = 'dense' AND query_id NOT IN (SELECT query_id FROM probe_queries))),
-('foreign_document', (SELECT count(*) FROM run WHERE method = 'dense' AND rank <= 10 AND doc_id NOT IN (SELECT doc_id FROM venue_documents))),
-('duplicate_document', 0), ('not_finite', 0), ('too_long', 0), ('disorder', 0)) v(rule, n)""")
+@query("""WITH s AS (SELECT method, run_id || '/' || query_id AS query_id, doc_id, score, row_number() OVER (PARTITION BY method, run_id, query_id ORDER BY scored_at, doc_id, unit_no, score) AS rank FROM scored_documents), e AS (SELECT DISTINCT run_id || '/' || query_id AS query_id FROM scored_documents WHERE query_id IN (SELECT query_id FROM probe_queries)), per AS (SELECT query_id, count(*) AS n FROM s GROUP BY query_id),
+o AS (SELECT *, lag(score) OVER w AS p, lag(doc_id) OVER w AS d FROM s WINDOW w AS (PARTITION BY query_id ORDER BY rank))
+SELECT 'missing_query' AS rule, count(*) AS n FROM e WHERE query_id NOT IN (SELECT query_id FROM per)
+UNION ALL SELECT 'foreign_query', count(*) FROM per WHERE query_id NOT IN (SELECT query_id FROM e)
+UNION ALL SELECT 'foreign_document', count(*) FROM s WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM venue_documents)
+UNION ALL SELECT 'duplicate_document', count(*) FROM (SELECT query_id, doc_id FROM s GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'not_finite', count(*) FROM s WHERE score IS NULL OR NOT isfinite(score)
+UNION ALL SELECT 'too_long', count(*) FROM per WHERE n > 100
+UNION ALL SELECT 'disorder', count(*) FROM o WHERE score > p OR score = p AND doc_id < d""")
 def run_contract(t):
-    return ql.run_violations(_runs(t).filter("method = 'dense' and rank <= 10"), t("probe_queries"), t("venue_documents"), 10)
+    w = Window.partitionBy("method", "run_id", "query_id").orderBy("scored_at", F.col("doc_id").asc_nulls_last(), F.col("unit_no").asc_nulls_last(), F.col("score").asc_nulls_last())
+    s = t("scored_documents").withColumn("rank", F.row_number().over(w)).withColumn("query_id", F.concat_ws("/", "run_id", "query_id"))
+    asked = t("scored_documents").join(t("probe_queries").select("query_id").distinct(), "query_id", "left_semi").select(F.concat_ws("/", "run_id", "query_id").alias("query_id"))
+    return ql.run_violations(s.select("query_id", "doc_id", "score", "rank"), asked, t("venue_documents"), 100)
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type")
@@ -292,15 +315,12 @@ def wilson_ci(t):
     return a.select(F.round(F.col("h") / F.col("n"), 6).alias("rate"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), F.round("brier", 6).alias("brier"))
 
 
-@query(f"""WITH {CAL}, g AS (SELECT i, exp(-2 + 4 * i / 160.0::DOUBLE) AS t FROM range(161) r(i)), q AS (SELECT i, label, 1 / (1 + exp(-ln(x / (1 - x)) / t)) AS q FROM (SELECT label, least(1 - 1e-6, greatest(1e-6, score)) AS x FROM s), g)
+@query(f"""WITH {CAL}, g AS (SELECT i, exp(-2 + 4 * i / 160.0::DOUBLE) AS t FROM range(161) r(i)), q AS (SELECT i, label, 1 / (1 + exp(-ln(x / (1 - x)) / t)) AS q FROM (SELECT label, least(1 - 1e-9, greatest(1e-9, score)) AS x FROM s), g)
 SELECT i, round(avg(-(label * ln(least(1 - 1e-12, greatest(1e-12, q))) + (1 - label) * ln(1 - least(1 - 1e-12, greatest(1e-12, q))))), 6) AS nll FROM q GROUP BY i""")
 def temperature_grid_nll(t):
-    x = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), F.col("score")))
+    x = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col("score")))
     s = _scored(t).select("label", F.log(x / (1 - x)).alias("z"))
-    g = s.sparkSession.range(161).select(F.col("id").alias("i"), F.exp(-2 + 4 * F.col("id") / 160.0).alias("t"))
-    q = F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), 1 / (1 + F.exp(-F.col("z") / F.col("t")))))
-    loss = -(F.col("label") * F.log(q) + (1 - F.col("label")) * F.log(1 - q))
-    return s.crossJoin(F.broadcast(g)).groupBy("i").agg(F.round(F.avg(loss), 6).alias("nll"))
+    return mt.grid_losses(s)
 
 
 @query("""WITH c AS (SELECT p_brand AS item, p_size % 3 AS category, p_partkey FROM part), n AS (SELECT item, category, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY p_partkey) AS r FROM c) WHERE r <= 5 GROUP BY ALL),
@@ -314,21 +334,18 @@ def fleiss_kappa(t):
     return mt.fleiss_kappa(n.join(full, "item", "left_semi"), 5)
 
 
-@query("""WITH d AS (SELECT row_number() OVER (ORDER BY r_regionkey, n_nationkey) - 1 AS i, (n_nationkey % 7 - 3)::DOUBLE AS d FROM nation JOIN region ON r_regionkey = n_regionkey QUALIFY i < 12), m AS (SELECT avg(d) AS m FROM d),
-s AS (SELECT k, avg(CASE WHEN (k >> i) & 1 = 1 THEN -d ELSE d END) AS s FROM range(4096) r(k), d GROUP BY k) SELECT round(count(*) FILTER (abs(s) >= abs((SELECT m FROM m)) - 1e-15) / 4096.0::DOUBLE, 6) AS p FROM s""")
+@query("""WITH d AS (SELECT r_regionkey AS i, (sum(n_nationkey % 7 - 3))::DOUBLE AS d FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_regionkey), m AS (SELECT avg(d) AS m FROM d),
+s AS (SELECT k, avg(CASE WHEN (k >> i) & 1 = 1 THEN -d ELSE d END) AS s FROM range(32) r(k), d GROUP BY k) SELECT round(count(*) FILTER (abs(s) >= abs((SELECT m FROM m)) - 1e-15) / 32.0::DOUBLE, 6) AS p FROM s""")
 def exact_permutation(t):
-    w = Window.orderBy("r_regionkey", "n_nationkey")
-    rows = t("nation").join(t("region"), F.col("r_regionkey") == F.col("n_regionkey")).withColumn("i", F.row_number().over(w) - 1).filter("i < 12").select(((F.col("n_nationkey") % 7) - 3).cast("double").alias("d")).collect()
-    p = mt.permutation_p([r[0] for r in rows])
-    return t("region").sparkSession.createDataFrame([(round(p, 6),)], "p double")
+    d = t("nation").join(t("region"), F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_regionkey").agg(F.sum((F.col("n_nationkey") % 7) - 3).cast("double").alias("d"))
+    return mt.exact_signs(d, key="r_regionkey", value="d")
 
 
 @query()
 def paired_bootstrap(t):
     first = _runs(t).filter("rank = 1")
-    d = first.filter("method = 'dense'").select("query_id", F.col("score").alias("x")).join(first.filter("method = 'rrf'").select("query_id", F.col("score").alias("y")), "query_id").orderBy("query_id").select(F.col("x") - F.col("y")).collect()
-    r = mt.paired_bootstrap([x[0] for x in d])
-    return t("region").sparkSession.createDataFrame([(float(r["mean"]), float(r["low"]), float(r["high"]), float(r["above"]))], "mean double, low double, high double, above double")
+    a = first.filter("method = 'dense'").select("query_id", F.col("score").alias("x"))
+    return mt.poisson_bootstrap(a.join(first.filter("method = 'rrf'").select("query_id", F.col("score").alias("y")), "query_id").select("query_id", (F.col("x") - F.col("y")).alias("difference")))
 
 
 @query(f"""WITH best AS (SELECT p_partkey AS doc_id, term, max(struct_pack(w := w, field := field)).w AS w FROM ({" UNION ALL ".join(f"SELECT p_partkey, unnest({words(c)}) AS term, {w}::DOUBLE AS w, '{c}' AS field FROM part" for c, w in FIELDS.items())}) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM best GROUP BY term),
