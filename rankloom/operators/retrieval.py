@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,28 +99,118 @@ def expand_topics(seeds: DataFrame, related: DataFrame, *, neighbours: int = 5,
     return near.filter(F.col("strength") >= least).select(F.col("a").alias("seed"), F.col("b").alias("topic"), "strength")
 
 
-def norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+BLOCK_ROWS = 2048
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def packed_blocks(vectors: DataFrame, *, key: str, vector: str, extra: str | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(ids, extra, matrix): vectors at most ``rows`` at a time, as bytes of 64-bit integers and of unit vectors in doubles. Null and zero vectors are left out.
+
+    Keys and ``extra`` are integers, and all vectors of one call have the same length.
+    """
+    import pyarrow as pa
+
+    other = F.col(extra).cast("bigint") if extra else F.lit(0).cast("bigint")
+    src = vectors.select(F.col(key).cast("bigint").alias("k"), other.alias("x"), F.col(vector).cast("array<double>").alias("v")).filter("k is not null and size(v) > 0 and not exists(v, y -> y is null)")
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                m = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                norms = np.sqrt((m * m).sum(1))
+                keep = norms > 0
+                ids, other = (part.column(c).to_numpy(zero_copy_only=False)[keep].astype(np.int64) for c in (0, 1))
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([other.tobytes()]), pa.array([(m[keep] / norms[keep, None]).tobytes()])], names=["ids", "extra", "matrix"])
+
+    return src.mapInArrow(run, "ids binary, extra binary, matrix binary")
+
+
+def _cells(queries: DataFrame, vectors: DataFrame, cell, schema: str) -> DataFrame:  # noqa: ANN001
+    """``cell`` applied to every pair of a block of queries and a block of vectors; blocks are packed rows, so cells are few and spread over all tasks."""
+    import pyarrow as pa
+
+    pairs = vectors.crossJoin(queries.select(F.col("ids").alias("q_ids"), F.col("extra").alias("q_extra"), F.col("matrix").alias("q_matrix")))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            for ids, extra, matrix, q_ids, q_extra, q_matrix in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
+                d, q = np.frombuffer(ids, dtype=np.int64), np.frombuffer(q_ids, dtype=np.int64)
+                out = cell(d, np.frombuffer(extra, dtype=np.int64), np.frombuffer(matrix).reshape(len(d), -1), q, np.frombuffer(q_extra, dtype=np.int64), np.frombuffer(q_matrix).reshape(len(q), -1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+
+    return pairs.mapInArrow(run, schema)
 
 
-def cosine(queries: DataFrame, vectors: DataFrame, *, key: str, vector: str, least: float | None = None, k: int = 10, max_queries: int = 10_000) -> DataFrame:
-    """Exact cosine scan of a stated set of queries over all vectors, clamped to -1..1.
+def _best(scores: np.ndarray, d: np.ndarray, q: np.ndarray, k: int | None, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, doc, score) of held cells, only the first ``k`` of each query by score, then id."""
+    rows = []
+    for i in range(len(q)):
+        own = np.flatnonzero(held[i])
+        if k is not None and len(own) > k:
+            own = own[np.lexsort((d[own], -scores[i, own]))[:k]]
+        rows.append(own)
+    row = np.repeat(np.arange(len(q)), [len(r) for r in rows])
+    col = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+    return q[row], d[col], scores[row, col]
 
-    The queries are broadcast; their number is checked against ``max_queries`` first, larger sets go in blocks.
+
+def cosine(queries: DataFrame, vectors: DataFrame, *, key: str, vector: str, least: float | None = None, k: int | None = 10, pool: str | None = None) -> DataFrame:
+    """Exact cosine scan of a stated set of queries over all vectors, clamped to -1..1 and rounded to 6 places.
+
+    Blocks of queries meet blocks of vectors in one matrix product each, and each cell gives its ``k`` best only: nothing is broadcast beyond what the
+    optimizer finds small, and no number of queries is too many. With ``pool``, an integer column, documents are its values and score by their best vector.
+    A query does not find itself; null and zero vectors neither ask nor answer.
     """
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"more than {max_queries} queries: call in blocks")
-    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("qv")).withColumn("qn", norm(F.col("qv")))
-    v = vectors.select(F.col(key).alias("doc_id"), F.col(vector).alias("dv")).withColumn("dn", norm(F.col("dv")))
-    pairs = v.join(F.broadcast(q), (F.col("query_id") != F.col("doc_id")) & (F.col("qn") > 0) & (F.col("dn") > 0))
-    score = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("qv"), F.col("dv")) / (F.col("qn") * F.col("dn")))), 6)
-    scored = pairs.select("query_id", "doc_id", score.alias("score"))
-    return canonical_rank(scored.filter(F.col("score") >= least) if least is not None else scored, k)
+
+    def cell(d, extra, m, q, _, qm):  # noqa: ANN001, ANN202
+        scores = np.round(np.clip(qm @ m.T, -1.0, 1.0), 6) + 0.0
+        held = q[:, None] != d[None, :]
+        if least is not None:
+            held &= scores >= least
+        if pool:
+            names, where = np.unique(extra, return_inverse=True)
+            best = np.full((len(names), len(q)), -2.0)
+            np.maximum.at(best, where, np.where(held, scores, -2.0).T)
+            return _best(best.T, names, q, k, best.T > -2.0)
+        return _best(scores, d, q, k, held)
+
+    q, v = packed_blocks(queries, key=key, vector=vector), packed_blocks(vectors, key=key, vector=vector, extra=pool)
+    scored = _cells(q, v, cell, "query_id bigint, doc_id bigint, score double")
+    if pool:
+        scored = scored.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    return canonical_rank(scored, k)
+
+
+def signbit_cosine(queries: DataFrame, vectors: DataFrame, *, key: str, vector: str, k: int = 10, shortlist: float = 0.5, floor: int = 80) -> DataFrame:
+    """Cosine rescoring of a shortlist by Hamming distance of sign bits.
+
+    The shortlist of a query are all vectors within the least distance that holds ``shortlist`` of all vectors (and ``floor`` of them), so it grows with the
+    table and recall does not fall: the distances are counted first, then the vectors within are rescored exactly.
+    """
+    signs = lambda m: np.where(m >= 0, 1.0, -1.0)
+    distances = lambda qm, m: np.rint((m.shape[1] - signs(qm) @ signs(m).T) / 2).astype(np.int64)
+
+    def count(d, _, m, q, __, qm):  # noqa: ANN001, ANN202
+        h = np.where(q[:, None] != d[None, :], distances(qm, m), m.shape[1] + 1)
+        n = np.apply_along_axis(np.bincount, 1, h, minlength=m.shape[1] + 2)[:, :-1]
+        row, at = np.nonzero(n)
+        return q[row], at, n[row, at]
+
+    v = packed_blocks(vectors, key=key, vector=vector)
+    counts = _cells(packed_blocks(queries, key=key, vector=vector), v, count, "query_id bigint, h bigint, n bigint").groupBy("query_id", "h").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("query_id").orderBy("h")
+    run = counts.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy("query_id")))
+    radius = run.filter(F.col("upto") >= F.least("total", F.greatest(F.lit(floor), F.ceil(F.col("total") * shortlist)))).groupBy("query_id").agg(F.min("h").alias("radius"))
+    asked = queries.select(F.col(key).cast("bigint").alias("query_id"), F.col(vector).alias("_v")).join(radius, "query_id")
+
+    def rescore(d, _, m, q, reach, qm):  # noqa: ANN001, ANN202
+        held = (q[:, None] != d[None, :]) & (distances(qm, m) <= reach[:, None])
+        return _best(np.round(np.clip(qm @ m.T, -1.0, 1.0), 6) + 0.0, d, q, k, held)
+
+    scored = _cells(packed_blocks(asked, key="query_id", vector="_v", extra="radius"), v, rescore, "query_id bigint, doc_id bigint, score double")
+    return canonical_rank(scored, k)
 
 
 def sign_bits(vector: Column, dims: int) -> Column:

@@ -178,19 +178,22 @@ def cosine_threshold_clamp(t):
 @query(f"WITH {COS}, m AS (SELECT query_id, label AS doc_id, max(score) AS score FROM c GROUP BY ALL) SELECT query_id, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM m")
 def vector_label_maxpool(t):
     v = t("embeddings")
-    units = rt.cosine(v.filter("vec_id % 20 = 0"), v, key="vec_id", vector="embedding", k=None).drop("rank").withColumnRenamed("doc_id", "unit")
-    pooled = rk.max_pool(units.join(v.select(F.col("vec_id").alias("unit"), F.col("label").alias("doc_id")), "unit"))
-    return rk.canonical_rank(pooled).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return rt.cosine(v.filter("vec_id % 20 = 0"), v, key="vec_id", vector="embedding", k=None, pool="label").select("query_id", F.col("doc_id").cast("int").alias("doc_id"), F.round("score", 4).alias("score"), "rank")
 
 
-@query(f"""WITH {VEC}, b AS (SELECT vec_id, array_to_string(list_transform(e, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '')::BIT AS s FROM n)
-SELECT query_id, doc_id, h AS hamming, rank FROM (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, bit_count(xor(q.s, d.s))::INT AS h, row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.s, d.s)), d.vec_id) AS rank FROM b q JOIN b d ON q.vec_id <> d.vec_id AND q.vec_id % 20 = 0) WHERE rank <= 80""")
+@query(f"""WITH {VEC}, b AS (SELECT vec_id, e, nn, array_to_string(list_transform(e, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '')::BIT AS s FROM n WHERE nn > 0),
+h AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, bit_count(xor(q.s, d.s))::INT AS h, round(greatest(-1, least(1, list_dot_product(q.e, d.e) / (q.nn * d.nn))), 6) AS score FROM b q JOIN b d ON q.vec_id <> d.vec_id AND q.vec_id % 20 = 0),
+c AS (SELECT query_id, h, count(*) AS n FROM h GROUP BY ALL), u AS (SELECT *, sum(n) OVER (PARTITION BY query_id ORDER BY h) AS upto, sum(n) OVER (PARTITION BY query_id) AS total FROM c),
+r AS (SELECT query_id, min(h) AS radius FROM u WHERE upto >= least(total, greatest(80, ceil(total * 0.5))) GROUP BY query_id)
+SELECT query_id, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h JOIN r USING (query_id) WHERE h <= radius QUALIFY rank <= 10""")
 def signbit_hamming_shortlist(t):
-    v = t("embeddings").select("vec_id", rt.sign_bits(F.col("embedding"), 64).alias("s"))
-    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("s").alias("qs"))
-    h = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("doc_id"), rt.hamming(F.col("s"), F.col("qs")).alias("hamming"))
-    w = Window.partitionBy("query_id").orderBy("hamming", "doc_id")
-    return h.withColumn("rank", F.row_number().over(w)).filter("rank <= 80").select("query_id", "doc_id", "hamming", "rank")
+    v = t("embeddings")
+    return rt.signbit_cosine(v.filter("vec_id % 20 = 0"), v, key="vec_id", vector="embedding", k=10).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
+@query(f"""WITH {VEC}, b AS (SELECT vec_id, array_to_string(list_transform(e, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '')::BIT AS s FROM n) SELECT vec_id, bit_count(s)::INT AS positive FROM b""")
+def sign_bit_counts(t):
+    return t("embeddings").select("vec_id", rt.hamming(rt.sign_bits(F.col("embedding"), 64), F.array(F.lit(0).cast("bigint"))).cast("int").alias("positive"))
 
 
 # Runs and judgements: the stored scores of all methods, and the venue that printed each paper.
