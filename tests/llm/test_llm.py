@@ -58,6 +58,35 @@ def test_leaks(spark, held_out):
     assert leakage.leaks(df, held_out.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("batch", "parts"), [(1, 1), (7, 16), (10_000, 3)])
+def test_leaks_do_not_depend_on_batches(spark, held_out, batch, parts):
+    docs = [("p", "X. These findings bear on sleep apnoea as practissed in Vanithe. A second survey in Spohefliwa then confirms the trend. Y."), ("t", STUDY.upper()), ("o", "Nothing."), ("n", None)]
+    df = spark.createDataFrame(docs, "doc_id string, text string").repartition(parts)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        assert rows(leakage.leaks(df, held_out.repartition(parts))) == [("p", "q1"), ("t", "q1")]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_span_sums_do_not_depend_on_the_slice(monkeypatch):
+    words = [f"w{i % 37}" for i in range(500)]
+    h, w, begin = tx.hashes(words), np.linspace(0.1, 1.0, 500), np.array([0, 3, 90, 91, 260, 499])
+    fp, totals = leakage.token_fingerprints(h, w, begin)
+    monkeypatch.setattr(leakage, "TOKENS_AT_ONCE", 17)
+    again, sums = leakage.token_fingerprints(h, w, begin)
+    assert (fp == again).all() and (totals == sums).all() and len(fp) == 500 - leakage.WIDTH + 1
+
+
+def test_phrases_are_left_out_only_where_others_remain(spark):
+    agree = [(f"d{i}", b"a", 0, 0, 1, 0, 2, -1, 1) for i in range(300)] + [(f"d{i}", b"b", -1, 0, 1, 0, 1, -1, -1) for i in range(300)] + [("d1", b"a", 1, 2, 9, 0, 1, 2, -1)]
+    near = spark.createDataFrame(agree, "doc_id string, paper binary, item int, at int, fp bigint, shift int, own int, before int, after int")
+    kept = {(bytes(r.paper), r.item) for r in leakage.searched(near).collect()}
+    # Paper a's sentence has a second window; the title of paper b has this one alone.
+    assert kept == {(b"b", -1), (b"a", 1)}
+
+
 def test_simhash_blocks_cover_the_radius():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, size=200, dtype=np.uint64)
@@ -68,9 +97,28 @@ def test_simhash_blocks_cover_the_radius():
 
 # --- problem 2
 
+PROSE = {
+    "en": "we examine how the number of cases has changed since that year and discuss what this means for those who work here. we see the results of this study and the effect was stronger for the first group than for the second.",
+    "fr": "les travaux antérieurs reposaient sur de petits échantillons et restent mal compris. nous étudions comment le nombre de cas a changé depuis cette année et ce que cela signifie.",
+    "de": "wir untersuchen, wie sich die zahl der fälle in dieser zeit verändert hat, und was dies heißt. der zusammenhang zwischen den beiden gruppen in dieser stadt ist kaum verstanden.",
+    "zh": "这项研究考察了两组之间的联系，并讨论了其意义。我们采用问卷调查，比较了不同情形下的结果。",
+}
+
+
 @pytest.fixture(scope="module")
 def reader():
-    return langid.Classifier(langid.train([]))
+    return langid.Classifier(*langid.train([], seeds=PROSE))
+
+
+def test_rejects_what_no_dictionary_helps():
+    rng = np.random.default_rng(3)
+    topics = {k: v.rstrip(".。").replace("。", ". ").split(". ") for k, v in PROSE.items()}
+    texts = [". ".join(rng.permutation(topics[k])) + f". {' '.join(rng.choice(PROSE[k].split(), 6))}." for k in PROSE for _ in range(60)]
+    c = langid.Classifier(*langid.train(texts, seeds=PROSE))
+    assert c.languages_of("We examine how the number of cases has changed since that year.")[0][0] == "en"
+    for foreign in ("Результаты этого исследования показывают, что связь между двумя группами существует и была замечена раньше.", "I risultati mostrano che esiste un legame tra i due gruppi e che non era stato osservato prima.", "ok", "この研究の結果は、二つのグループの間に関係があることを示している。"):
+        assert c.languages_of(foreign) == []
+    assert set(langid.SEEDS) == {"en", "fr", "de", "es", "zh"}
 
 
 def test_languages(reader):
@@ -87,11 +135,11 @@ def test_wrong_labels(spark):
     en, de = "We examine how the number of cases has changed since that year and discuss what this means.", "Wir untersuchen, wie sich die Zahl der Fälle in dieser Zeit verändert hat, und was dies heißt."
     q = spark.createDataFrame([("a", en), ("b", en), ("c", de), ("d", de), ("e", f"{en}\n{de}"), ("f", None), ("g", en), ("g", en), (None, en), ("h", f"{en}\n{de}")], "query_id string, text string")
     p = spark.createDataFrame([("a", " EN-gb", T0), ("b", "fr", T0), ("c", "other", T0), ("d", None, T0), ("e", "de", T0), ("f", None, T0), ("h", "Mixed ", T0), (None, "en", T0), ("a", "zz", dt.datetime(2020, 1, 1))], "query_id string, language string, profiled_at timestamp")
-    got = [(r.query_id, r.language) for r in langid.wrong_labels(q, p).orderBy("query_id", "language").collect()]
+    got = [(r.query_id, r.language) for r in langid.wrong_labels(q, p, seeds=PROSE).orderBy("query_id", "language").collect()]
     assert got == [("b", "en"), ("d", "de"), ("e", "de"), ("e", "en"), ("g", "en")]
-    assert langid.wrong_labels(q.limit(0), p).count() == 0
-    assert langid.wrong_labels(q, p.limit(0)).select("query_id").distinct().count() == 7
-    assert {r.language for r in langid.text_segments(q.filter("query_id = 'e'")).collect()} == {"en", "de"}
+    assert langid.wrong_labels(q.limit(0), p, seeds=PROSE).count() == 0
+    assert langid.wrong_labels(q, p.limit(0), seeds=PROSE).select("query_id").distinct().count() == 7
+    assert {r.language for r in langid.text_segments(q.filter("query_id = 'e'"), seeds=PROSE).collect()} == {"en", "de"}
 
 
 # --- problem 3
@@ -123,10 +171,24 @@ def test_abstracts_without_rare_words_agree_by_their_shingles():
 
 def test_candidates_are_all_pairs_of_a_bucket(spark):
     members = {7: [f"c{i:03d}" for i in range(150)], 8: [f"c{i:03d}" for i in range(100, 112)], 9: ["alone"]}
-    b = spark.createDataFrame([(k, n) for k, ns in members.items() for n in ns], "bucket bigint, node string")
+    b = spark.createDataFrame([(k, n, n) for k, ns in members.items() for n in ns], "bucket bigint, node string, label string")
     assert rows(splits.candidates(b)) == [(x, y) for i, x in enumerate(members[7]) for y in members[7][i + 1 :]]
 
 
+def test_stars_spare_pairs_but_lose_no_link(spark):
+    nodes = [f"c{i:03d}" for i in range(200)]
+    b = spark.createDataFrame([(7, n) for n in nodes], "bucket bigint, node string")
+    stars = splits.star_pairs(b)
+    assert stars.count() == 199
+    confirmed = stars.filter("b < 'c150'")  # 150 classes are one paper, the other 50 are open
+    left = splits.candidates(splits.labelled(b, confirmed.unionByName(confirmed.selectExpr("a", "a as b").distinct())))
+    pairs = {tuple(r) for r in left.collect()}
+    assert all((x, y) in pairs for i, x in enumerate(nodes) for y in nodes[max(i + 1, 150) :])
+    assert not any(y < "c150" for _, y in pairs)
+    whole = splits.labelled(b, stars.unionByName(stars.selectExpr("a", "a as b").distinct()))
+    assert whole.count() == 0
+
+
 # --- problem 4
 
 def test_match(spark):
@@ -150,9 +212,20 @@ def test_mixture_separates_and_shares():
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(0.95, 0.03, (50, 4)), rng.normal(0.3, 0.1, (500, 4))])
     group = np.concatenate([np.arange(50), rng.integers(0, 50, 500)])
-    p = matching.shared_posteriors(matching.fit(x, group).log_odds(x), group)
+    p = matching.shared_posteriors(matching.fit(x, x[:, 0] > 0.6, group).log_odds(x), group)
     assert p[:50].min() > 0.9 and p[50:].max() < 0.1
     assert np.bincount(group, weights=p).max() <= 1.0 + 1e-9
+    # Two records that are one thing have one answer; two entities cannot both be a record.
+    same = matching.shared_posteriors(np.array([4.0, -4.0, 1.0, 1.0]), np.array([0, 1, 2, 2]), np.array([0, 0, 1, 2]))
+    assert same[0] == same[1] == 0.5 and same[2] == same[3] < 0.5
+
+
+def test_the_mixture_decides(spark, monkeypatch):
+    e = spark.createDataFrame([(i, f"Journal {w} Studies", None, None, None, None) for i, w in enumerate(("Alpha", "Beta", "Gamma", "Delta"))], "entity_id bigint, name string, issns array<string>, quartile string, category string, broad_field string")
+    c = spark.createDataFrame([(f"c{i}", f"Journal {w} Studies", None, None, None) for i, w in enumerate(("Alpha", "Beta", "Gamma", "Delta"))], "case_id string, gold_journal_name string, gold_issns array<string>, gold_jcr_quartile string, primary_field string")
+    assert matching.match(c, e).count() == 4
+    monkeypatch.setattr(matching, "fit", lambda x, *_: matching.Mixture(1e-4, np.zeros((2, 4)), np.stack([np.eye(4)] * 2)))
+    assert matching.match(c, e).count() == 0
 
 
 # --- problem 5
@@ -242,6 +315,11 @@ def test_pack_places_every_token_once(spark):
             assert s[-1][1] <= cap and all(a[1] <= b[0] for a, b in zip(s, s[1:], strict=False))
         assert max(r.piece for r in mine) == (2 if cap == 10 else 0)
     assert packing.pack(sizes.limit(0), w).count() == 0
+    twice = spark.createDataFrame([("a", 10), ("a", 64)], "window_name string, capacity_tokens int")
+    unique = sizes.filter("doc_id > 0")
+    found = packing.pack(unique, twice)
+    assert {r.n for r in packing.violations(found, unique).collect()} == {0}
+    assert {r.capacity_tokens for r in packing.utilization(found).collect()} == {10, 64}
     with pytest.raises(ValueError):
         packing.pack(sizes, spark.createDataFrame([("x", 0)], "window_name string, capacity_tokens int"))
 
