@@ -45,6 +45,7 @@ RATE = 0.3
 RIDGE = 2e-6
 SILENT = 0.5
 LEAST_GOLD = 15
+SPANS_AT_ONCE = 10_000
 BITS = 18
 
 _SEGMENT = re.compile(r"[\r\n|•]+|(?<=[.!?])\s+|(?<=[。！？])|(?<=[.!?][\"”»)])\s+")
@@ -128,26 +129,35 @@ def logistic(index: np.ndarray, start: np.ndarray, q: np.ndarray, weight: np.nda
     known = np.flatnonzero((first != 0).any(1))
     place = np.full(BUCKETS, -1)
     place[known] = np.arange(len(known))
-    row = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(index))))
-    used = place[index] >= 0
-    col, row = place[index][used], row[used]
     k = q.shape[1]
     w = first[known].astype(np.float64)
     bias = np.full(k, -2.0)
     seen_w, seen_b = np.full_like(w, 1e-8), np.full(k, 1e-8)
-    cuts = np.flatnonzero(np.diff(row, prepend=-1))
-    heads = row[cuts] if len(row) else row
     total = max(weight.sum(), 1e-9)
+    # Only spans that count are read, ``SPANS_AT_ONCE`` at a time, which bounds the memory of a step.
+    ends = np.append(start, len(index))
+    chunks = []
+    counted = np.flatnonzero(weight > 0)
+    for lo in range(0, len(counted), SPANS_AT_ONCE):
+        spans_ = counted[lo : lo + SPANS_AT_ONCE]
+        sizes = ends[spans_ + 1] - start[spans_]
+        row = np.repeat(np.arange(len(spans_), dtype=np.int32), sizes)
+        col = place[index[np.repeat(start[spans_] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]].astype(np.int32)
+        row, col = row[col >= 0], col[col >= 0]
+        chunks.append((spans_, row, col, np.flatnonzero(np.diff(row, prepend=-1))))
     for _ in range(STEPS):
-        z = np.zeros_like(q)
-        if len(row):
-            z[heads] = np.add.reduceat(w[col].astype(np.float32), cuts, axis=0)
-        error = (1.0 / (1.0 + np.exp(-np.clip(z + bias, -30, 30))) - q) * weight[:, None] / total
-        e = error[row]
-        grad = np.stack([np.bincount(col, weights=e[:, s], minlength=len(known)) for s in range(k)], axis=1) + RIDGE * w
+        narrow = w.astype(np.float32)
+        grad, g = RIDGE * w, np.zeros(k)
+        for spans_, row, col, cuts in chunks:
+            z = np.zeros((len(spans_), k))
+            if len(row):
+                z[row[cuts]] = np.add.reduceat(narrow[col], cuts, axis=0)
+            error = (1.0 / (1.0 + np.exp(-np.clip(z + bias, -30, 30))) - q[spans_]) * weight[spans_, None] / total
+            for s in range(k):
+                grad[:, s] += np.bincount(col, weights=error[row, s], minlength=len(known))
+            g += error.sum(0)
         seen_w += grad * grad
         w -= RATE * grad / np.sqrt(seen_w)
-        g = error.sum(0)
         seen_b += g * g
         bias -= RATE * g / np.sqrt(seen_b)
     out = np.zeros((BUCKETS, k), dtype=np.float32)
@@ -169,10 +179,12 @@ def train(subjects: list[str], texts: list[str], annotated: list[set[str]], fiel
         return Linear(subjects, np.zeros((BUCKETS, k), dtype=np.float32))
     held = np.array([bool(annotated[i]) and tx.token_hash(str(keys[i] if keys else texts[i])) % HELD_OUT == 0 for i in docs])
     index, start = spans(flat)
-    row = np.repeat(np.arange(len(flat)), np.diff(np.append(start, len(index))))
+    row = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(index))))
     owner = np.repeat(np.arange(len(docs)), [len(parts[i]) for i in docs])
+    del parts, flat
     pairs = np.unique(owner[row].astype(np.int64) * BUCKETS + index)
     seen = np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+    del pairs
     y = np.zeros((len(docs), k))
     weight = np.zeros(len(docs))
     for r, i in enumerate(docs):
