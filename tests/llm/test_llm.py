@@ -87,6 +87,39 @@ def test_phrases_are_left_out_only_where_others_remain(spark):
     assert kept == {(b"b", -1), (b"a", 1)}
 
 
+PHRASE = "Submissions reach at least two careful readers."
+SYLLABLES = "bak cem dil fon gup haz jev kix lom nud pra quo rif sto tyw".split()
+
+
+@pytest.fixture(scope="module")
+def phrase_papers(spark):
+    beside = [" ".join(f"{x}{w}{x}" for w in ("orchard", "tillage", "granite", "harvest", "mountain", "winter", "barley", "meadow")) for x in SYLLABLES]
+    return beside, spark.createDataFrame([(f"q{i}", None, f"{PHRASE} {n.capitalize()}.", None) for i, n in enumerate(beside)], "query_id string, title string, abstract string, doi string")
+
+
+def test_a_phrase_of_many_papers_is_searched_once(phrase_papers):
+    papers = leakage.papers_of(leakage.with_paper(phrase_papers[1]))
+    windows = leakage.item_windows(papers, leakage.Weights({})).filter("at >= 0").groupBy("fp").count()
+    assert windows.filter("count > 1").count() == 0
+
+
+def test_decisive_words_have_a_spelling_in_common_with_what_is_found():
+    rng, letters = np.random.default_rng(2), list("abcdefgh")
+    for _ in range(2000):
+        a = "".join(rng.choice(letters, rng.integers(3, 14)))
+        b = list(a)
+        for _ in range(rng.integers(0, 3)):
+            i = int(rng.integers(0, len(b)))
+            b[i : i + rng.integers(0, 2)] = rng.choice(letters, rng.integers(0, 2))
+            if len(b) > i + 1 and rng.random() < 0.3:
+                b[i], b[i + 1] = b[i + 1], b[i]
+        b = "".join(b)
+        if b and tx.alike(a, b):
+            assert np.intersect1d(leakage.spellings(a), leakage.spellings(b)).size
+    assert leakage.decisive("a b c d".split(), np.array([1.0, 1.0, 0.4, 0.4])) == ["a"]
+    assert leakage.bitmap_bits(600_000) == 26 and leakage.bitmap_bits(10**9) == 30 and leakage.bitmap_bits(0) == 20
+
+
 def test_simhash_blocks_cover_the_radius():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, size=200, dtype=np.uint64)
