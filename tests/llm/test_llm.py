@@ -97,6 +97,15 @@ def phrase_papers(spark):
     return beside, spark.createDataFrame([(f"q{i}", None, f"{PHRASE} {n.capitalize()}.", None) for i, n in enumerate(beside)], "query_id string, title string, abstract string, doi string")
 
 
+def test_phrases_lead_to_edited_neighbours(spark, phrase_papers):
+    # 15 papers times 22 documents agree on the phrase; no four words of the neighbour are left as they were.
+    beside, papers = phrase_papers
+    words = beside[7].split()
+    words[2], words[5] = words[2][:-2] + words[2][-1], words[5][:3] + "x" + words[5][3:]
+    docs = [(f"d{i}", f"{PHRASE} Nothing else was said in number {i}.") for i in range(20)] + [("after", f"{PHRASE} {' '.join(words)}."), ("before", f"{' '.join(words)}. {PHRASE}")]
+    assert rows(leakage.leaks(spark.createDataFrame(docs, "doc_id string, text string"), papers)) == [("after", "q7")]
+
+
 def test_a_phrase_of_many_papers_is_searched_once(phrase_papers):
     papers = leakage.papers_of(leakage.with_paper(phrase_papers[1]))
     windows = leakage.item_windows(papers, leakage.Weights({})).filter("at >= 0").groupBy("fp").count()
