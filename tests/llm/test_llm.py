@@ -270,6 +270,56 @@ def test_the_mixture_decides(spark, monkeypatch):
     assert matching.match(c, e).count() == 0
 
 
+ENTITIES = "entity_id bigint, name string, issns array<string>, quartile string, category string, broad_field string"
+CASES = "case_id string, gold_journal_name string, gold_issns array<string>, gold_jcr_quartile string, primary_field string"
+
+
+def test_common_keys_lose_no_similar_name(spark):
+    # Every word and the initials of entity 0 are those of over 40 others; the misspelt word of the case is a rare key of another.
+    fill = [f"{a} {b} {c}" for a in ("Applied", "Archives", "Acoustic") for b in ("Physics", "Plants", "Polymers") for c in ("Reviews", "Records", "Reports", "Results", "Readings")]
+    names = ["Applied Physics Reviews", *fill[1:], *(f"{w} {x}" for w in ("Applied", "Physics", "Reviews") for x in [*SYLLABLES, *map(str.upper, SYLLABLES), *(x * 2 for x in SYLLABLES)]), "Phsics of Quartz"]
+    e = spark.createDataFrame([(i, n, None, None, None, None) for i, n in enumerate(names)], ENTITIES)
+    c = spark.createDataFrame([("typo", "Applied Phsics Reviews", None, None, None)], CASES)
+    records, known = matching.record_keys(matching.distinct_records(c).dropDuplicates(["rec"])), matching.catalogue(e)
+    assert 0 in {r.entity_id for r in matching.candidates(records, known)[0].collect()}
+    assert rows(matching.match(c, e).select("case_id", "entity_id")) == [("typo", 0)]
+
+
+def test_similar_names_are_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    stock = "international journal of computational interdisciplinary physics and chemistry studies review the data".split() + ["材料科学与里安研究", "材料科学与里安学报"]
+    entities = list(dict.fromkeys(" ".join(rng.choice(stock, rng.integers(1, 6))) for _ in range(150)))
+
+    def respelt(w):
+        n = int(rng.integers(0, 5))
+        i = int(rng.integers(0, len(w)))
+        return (w[: i + 1], w[:i] + w[i + 1 :] or w, w[:i] + "q" + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :], w)[n]
+
+    cases = [" ".join(respelt(respelt(w)) if rng.random() < 0.4 else w for w in n.split()) for n in entities for _ in range(2)]
+    cases += ["".join(w[0] for w in n.split()) for n in entities[:40]] + [n[: len(n) * 2 // 3] for n in entities]
+    e = matching.catalogue(spark.createDataFrame([(i, n, None, None, None, None) for i, n in enumerate(entities)], ENTITIES))
+    r = matching.record_keys(matching.distinct_records(spark.createDataFrame([(n, n, None, None, None) for n in dict.fromkeys(cases)], CASES)))
+    got = {(x.name, x.entity_id) for x in matching.similar_names(r, e).join(r.select("nid", "name"), "nid").collect()}
+    words = [matching.spellings(n) for n in entities]
+    want = {(c, i) for c in cases for i, ws in enumerate(words) if max((matching.name_similarity(matching.spellings(c), w) for w in ws), default=0) > matching.SISTERS}
+    assert got == want and len(want) > 300
+
+
+def test_words_that_may_stand_have_a_sign_in_common():
+    rng, letters = np.random.default_rng(4), list("abcd")
+    for _ in range(20_000):
+        y = "".join(rng.choice(letters, rng.integers(1, 15)))
+        b = list(y[: rng.integers(1, 15)])
+        for _ in range(rng.integers(0, 3)):
+            i = int(rng.integers(0, len(b) + 1))
+            b[i : i + rng.integers(0, 2)] = rng.choice(letters, rng.integers(0, 2))
+            if len(b) > i + 1 and rng.random() < 0.3:
+                b[i], b[i + 1] = b[i + 1], b[i]
+        x = "".join(b)
+        if x and matching.word_may_stand(x, y):
+            assert matching.name_signs(x) & matching.entity_signs(y), (x, y)
+
+
 # --- problem 5
 
 def test_top_n(spark):
