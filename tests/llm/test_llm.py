@@ -26,6 +26,58 @@ def test_normalisation():
     assert tx.alike("control", "conttrol") and tx.alike("measure", "meausre") and not tx.alike("1234", "1235") and not tx.alike("cat", "car")
 
 
+LABELLED = tx.re.compile(r"(?:https?://[^\s/]+/|\bdoi\s*:?\s*)?" + tx._DOI.pattern)
+ENTRY = tx.re.compile(r"[\r\n|;•*·]+|(?<=[.!?])\s+|(?<=[。！？])|\s{2,}")
+SENTENCE_END = tx.re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|(?<=[.!?]['\"”»)])\s+|[\r\n]+")
+
+
+@settings(max_examples=500, deadline=None)
+@given(hs.lists(hs.sampled_from([*"aB1_ .!?;|\n\r\t•*。！？\"”)'关系é/:,", "doi:", "xdoi ", "10.1234/ab-1", "https://", "http://x.org/", "10.97001/abc.07"]), max_size=40).map("".join))
+def test_quick_patterns_break_where_the_plain_ones_do(s):
+    folded = tx.fold(tx.clean(s))
+    assert tx.strip_dois(folded) == LABELLED.sub("\n", folded)
+    split = lambda p: [w for x in p if (w := tx.words(tx.fold(x)))]
+    assert split(leakage._ENTRY.split(folded)) == split(ENTRY.split(folded))
+    assert split(tx._SENTENCE_END.split(tx.clean(s))) == split(SENTENCE_END.split(tx.clean(s)))
+    assert not folded.isascii() or tx.words(folded) == tx._TOKEN.findall(folded)
+
+
+def test_words_of_other_letters_are_not_aligned(monkeypatch):
+    monkeypatch.setattr(tx, "distance", lambda *_: pytest.fail("compared letter by letter"))
+    assert not tx.alike("jurisprudence", "thermodynamics") and not tx.alike("computation", "management")
+    item = ["jurisprudence", *(f"w{i}" for i in range(5))]
+    assert not leakage.may_match(item, np.ones(6), ["thermodynamics", "management"], 0, 2, 0.8, 0.5)
+
+
+def test_slices_of_documents_hash_different_words_once(spark, monkeypatch):
+    weights, bits = leakage.Weights({"common": 0.5}), type("B", (), {"value": np.full(1 << 14, ~np.uint64(0))})
+    texts = ["common a b c d | e f g h i common", "", "a b c d", "x | y z"]
+    docs = spark.createDataFrame([(f"d{i}", t, []) for i, t in enumerate(texts)], "doc_id string, tokens string, dois array<string>").coalesce(1)
+    want = set()
+    for i, t in enumerate(texts):
+        parts = [p.split(" ") for p in t.split(" | ")] if t else []
+        words = [w for p in parts for w in p]
+        signed = leakage.signed_bits(tx.hashes(words), weights.of(words))
+        places = np.cumsum([0, *map(len, parts)]).tolist()
+        want |= {(f"d{i}", k, 0, int(f)) for k, f in enumerate(leakage.window_fingerprints(signed, leakage.WIDTH).view(np.int64))}
+        for k in range(len(parts)):
+            for n in (1, 2):
+                if k + n <= len(parts):
+                    want.add((f"d{i}", places[k], n, int(leakage.packed(signed[places[k] : places[k + n]].sum(0, dtype=np.int32)[None]).view(np.int64)[0])))
+    got = {(r.doc_id, r.at, r.span, r.fp) for r in leakage.document_hits(docs, weights, bits, 20).collect()}
+    assert got == want
+    counts = []
+
+    class Once:
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+    monkeypatch.setattr(tx, "hashes", lambda words, plain=tx.hashes: counts.append(len(words)) or plain(words))
+    list(leakage.document_hits(Once(), weights, bits, 20).run(iter(docs.toArrow().to_batches())))
+    assert sum(counts) == 15  # of 18: 13 different words, the break and the empty text
+
+
 # --- problem 1
 
 STUDY = "How dividend policy changes seasonal franchise contracts: evidence from Grofafleplo and Neskafena"
