@@ -158,6 +158,14 @@ def test_phrases_lead_to_edited_neighbours(spark, phrase_papers):
     assert rows(leakage.leaks(spark.createDataFrame(docs, "doc_id string, text string"), papers)) == [("after", "q7")]
 
 
+def test_no_agreement_is_left_out_of_the_query(spark, phrase_papers, monkeypatch):
+    # 300 documents hold the phrase and the neighbour of q3, more than COMMON, and each of them is found.
+    monkeypatch.setattr(leakage, "searched", lambda _: pytest.fail("no query calls this"))
+    beside, papers = phrase_papers
+    docs = spark.createDataFrame([(f"d{i:03d}", f"Number {i}. {PHRASE} {beside[3].capitalize()}.") for i in range(leakage.COMMON + 100)], "doc_id string, text string")
+    assert rows(leakage.leaks(docs, papers)) == [(f"d{i:03d}", "q3") for i in range(leakage.COMMON + 100)]
+
+
 def test_a_phrase_of_many_papers_is_searched_once(phrase_papers):
     papers = leakage.papers_of(leakage.with_paper(phrase_papers[1]))
     windows = leakage.item_windows(papers, leakage.Weights({})).filter("at >= 0").groupBy("fp").count()
